@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seston.operators.bad_records import split_records
 from seston.operators.orphans import OrphanTracker, parent_rows, reference_rows
 from seston.operators.small_files import compact
+from seston.operators.schema_drift import Drift, plain
 from seston.runtime import read
 
 
@@ -27,6 +29,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(read(spark, sf_dir, "image_files")).dropped
 
 
+def _drift(spark: SparkSession, sf_dir: str) -> Drift:
+    return Drift(read(spark, sf_dir, "ecotaxa_meta"), file="archive_id", source="project_id", at="exported_at", object="object_id", meta="meta")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each archive's fields against the previous archive of its project."""
+    changes = _drift(spark, sf_dir).changes
+    kind = F.when(F.col("kind") == "moved", "renamed").otherwise(F.col("kind")).alias("kind")
+    return changes.select(F.col("file").alias("archive_id"), kind, plain(F.col("old_field")).alias("old_field"), plain(F.col("new_field")).alias("new_field"))
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All meta as one table: the lasting fields with their values, one row per object, archive and field."""
+    table = _drift(spark, sf_dir).table()
+    return table.select(F.col("file").alias("archive_id"), F.col("object").alias("object_id"), F.explode("meta").alias("field", "v")).select("archive_id", "object_id", plain(F.col("field")).alias("field"), F.col("v.type").alias("type"), F.col("v.text").alias("text")).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table and month; the second table's references arrive in a step of their own."""
     tracker = OrphanTracker(spark)
@@ -38,7 +57,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.report().withColumnRenamed("key", "sample_id").select("tab", "yyyymm", "sample_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p4_found": p4_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table, "p7_found": p7_found}
 
 SQL = {
     "p4_found": """
