@@ -1,0 +1,95 @@
+"""The operators over text and measurements, on tables small enough to check by hand."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import __spark_entry__ as entry  # noqa: E402
+from seston.llm.encode import encode_texts  # noqa: E402
+from seston.llm.groups import linkage_groups, object_groups, varied_sample  # noqa: E402
+from seston.llm.leaks import leaks  # noqa: E402
+from seston.llm.neighbours import neighbours  # noqa: E402
+from seston.llm.stuffing import stuffed  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+
+
+def test_registered():
+    assert {"p1_found", "p3_found", "p6_found", "p8_ids", "p9_found", "p10_found"} <= set(entry.queries())
+
+
+def test_encode(spark):
+    rows = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
+    ids = {r.doc_id: r.ids for r in encode_texts(rows).collect()}
+    assert ids[1] == [15496, 995] and ids[2] == [] and ids[3] == [] and 50256 not in ids[4]
+
+
+def test_neighbours_of_equal_and_spread_points(spark):
+    x = np.random.default_rng(1).random((3000, 3))
+    x[:1200] = x[0]  # more equal points than a leaf holds
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "roi_id long, a double, b double, c double")
+    near = {r.id: r.near for r in neighbours(rows, ["a", "b", "c"]).collect()}
+    assert len(near) == 3000 and all(len(v) == 5 for v in near.values())
+    hit = sum(len({p.b for p in near[i]} & set(np.argsort(((x - x[i]) ** 2).sum(1))[1:6])) for i in range(1200, 1400))
+    assert hit >= 0.98 * 1000
+
+
+def test_sample_covers_small_groups(spark):
+    rows = [(i, " S ", 100.0 * (1 + i * 1e-5), 0.3) for i in range(1, 500)] + [(500, "s", 900.0, 0.3), (501, "s", 100.0, 0.9), (502, "t", 5.0, 0.1)]
+    objects = spark.createDataFrame(rows, "roi_id long, sample_id string, area double, circ double")
+    plan = spark.createDataFrame([("s", 3)], "sample_id string, n_pick int")
+    got = varied_sample(objects, plan, [F.log("area"), F.col("circ") * 4]).collect()
+    assert sorted(r.roi_id for r in got) == [1, 500, 501]
+
+
+def test_linkage_of_fewer_points_than_groups():
+    assert list(linkage_groups(np.zeros((1, 2)), 4)) == [0]
+
+
+def test_groups_and_noise(spark):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.normal(0, 0.02, (300, 2)), rng.normal(0, 0.02, (300, 2)) + 1, [[5.0, 5.0]]])
+    objects = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "roi_id long, a double, b double")
+    ex = spark.createDataFrame([(7, 0.0, 0.0), (3, 0.01, 0.0), (9, 1.0, 1.0), (1, 5.0, 5.0)], "exemplar_id int, a double, b double")
+    got = {r.roi_id: r.exemplar_id for r in object_groups(objects, ex, [F.col("a"), F.col("b")]).collect()}
+    assert got == {i: 3 if i < 300 else 9 for i in range(600)}
+
+
+def test_leaks(spark):
+    w = [f"w{chr(97 + i)}" for i in range(26)]
+    items = spark.createDataFrame([(5, " ".join(w))], "item_id long, passage string")
+    texts = [
+        "so " + " ".join(w[3:16]).upper() + " end",  # 13 words
+        "so " + ", ".join(w[3:9]) + " (Applause) " + " ".join(w[9:16]),
+        " ".join(w[2:7] + ["x"] + w[8:20]),
+        "so " + " ".join(w[3:15]) + " end",  # 12 words
+        " ".join(w[16:2:-1]),
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in leaks(rows, items).collect()) == [(0, 5), (1, 5), (2, 5)]
+
+
+def test_stuffing(spark):
+    texts = [
+        "boat varnish now boat varnish best boat varnish buy boat varnish top boat varnish",
+        "#BoatVarnish #UsedTractors #BoatVarnish #CampingStove",
+        "In favour: Deshades, Mordarja, Hinsol, Pelmuko, Hafequin, Grinistar, Kapelfe, Ulfmyeck.",
+        "We support the levy. We support the levy. We support the levy. We support the levy.",
+        "[1] https://archive.example/1\n[2] https://archive.example/2",
+        "",
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in stuffed(rows).collect()) == [0, 1]
