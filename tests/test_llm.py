@@ -29,6 +29,12 @@ def test_registered():
     assert {"p1_found", "p3_found", "p6_found", "p8_ids", "p9_found", "p10_found"} <= set(entry.queries())
 
 
+def test_missing_module_is_an_error(monkeypatch):
+    monkeypatch.setitem(sys.modules, "seston.llm.queries", None)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
 def test_encode(spark):
     rows = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
     ids = {r.doc_id: r.ids for r in encode_texts(rows).collect()}
