@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
 #: A join side is broadcast only if its measured bytes are at most this.
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -18,13 +20,15 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a temporary folder set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if named is None:
         named = tempfile.mkdtemp(prefix="seston-")
         atexit.register(shutil.rmtree, named, True)
@@ -33,6 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, where their path doesn't have it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in map(os.path.abspath, filter(None, on_path)) or sc.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="seston-ship-")  # the driver's own; Spark's file server takes it to the workers
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/seston", "zip", root, "seston"))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
