@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seston.llm.encode import encode_texts
-from seston.llm.groups import object_groups, varied_sample
+from seston.llm.groups import describe_groups, object_groups
 from seston.llm.leaks import leaks
 from seston.llm.neighbours import neighbour_pairs, neighbours
 from seston.llm.objects import current_objects, usable
 from seston.llm.stuffing import stuffed
+from seston.llm.varied import inverse_density_sample, varied_sample
 from seston.runtime import read
 
 
@@ -26,6 +27,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_sample(objects, read(spark, sf_dir, "pick_plan"), [F.log("area"), F.col("circ") * 4])
 
 
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand of all objects, drawn with chances inverse to density."""
+    objects = current_objects(read(spark, sf_dir, "zoo_features"), ["area", "circ"])
+    return inverse_density_sample(objects, 1000, [F.log("area"), F.col("circ") * 4])
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ["area", "major", "minor", "mean"]
     exemplars = read(spark, sf_dir, "exemplars")
@@ -41,10 +48,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exemplar, size and typical members of each group: of five hash classes of its objects, the one nearest to its middle."""
-    part = _groups(spark, sf_dir).groupBy("grp", "exemplar_id", F.pmod(F.xxhash64("roi_id"), F.lit(5)).alias("h"))
-    part = part.agg(F.count("*").alias("n"), F.min(F.struct("d", "roi_id")).alias("m"))
-    return part.groupBy("grp", "exemplar_id").agg(F.sum("n").alias("n_objects"), F.transform(F.array_sort(F.collect_list("m")), lambda m: m["roi_id"]).alias("typical")).drop("grp")
+    """Exemplar, size, medoid and typical members of each group."""
+    return describe_groups(_groups(spark, sf_dir), 4).drop("grp")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +67,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_sample": p3_sample, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
