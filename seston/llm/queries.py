@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from seston.llm.encode import encode_texts
 from seston.llm.groups import describe_groups, object_groups
 from seston.llm.leaks import leaks
-from seston.llm.neighbours import neighbour_pairs, neighbours
+from seston.llm.neighbours import exact_neighbours, neighbour_pairs, neighbours, recall
 from seston.llm.objects import current_objects, usable
 from seston.llm.stuffing import stuffed
 from seston.llm.varied import inverse_density_sample, varied_sample
-from seston.runtime import read
+from seston.runtime import read, settle
+
+
+SHAPE = ["eccentricity", "solidity", "elongation"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of objects of which at least one is among the 5 nearest of the other."""
-    fields = ["eccentricity", "solidity", "elongation"]
-    return neighbour_pairs(neighbours(current_objects(read(spark, sf_dir, "zoo_features"), fields), fields))
+    return neighbour_pairs(neighbours(current_objects(read(spark, sf_dir, "zoo_features"), SHAPE), SHAPE))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against all rows, for the objects whose id is divisible by 100."""
+    objects = settle(current_objects(read(spark, sf_dir, "zoo_features"), SHAPE), "objects")
+    return recall(neighbours(objects, SHAPE), exact_neighbours(objects, objects.filter("roi_id % 100 = 0"), SHAPE))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +75,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_sample": p3_sample, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_recall": p1_recall, "p3_found": p3_found, "p3_sample": p3_sample, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
