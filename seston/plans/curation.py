@@ -9,7 +9,7 @@ from seston.operators.bad_records import split_records
 from seston.operators.orphans import OrphanTracker, parent_rows, reference_rows
 from seston.operators.small_files import compact
 from seston.operators.schema_drift import Drift, plain
-from seston.runtime import read
+from seston.runtime import read, settle
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,18 +46,31 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select(F.col("file").alias("archive_id"), F.col("object").alias("object_id"), F.explode("meta").alias("field", "v")).select("archive_id", "object_id", plain(F.col("field")).alias("field"), F.col("v.type").alias("type"), F.col("v.text").alias("text")).distinct()
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references per table and month; the second table's references arrive in a step of their own."""
+def _tracked(spark: SparkSession, sf_dir: str) -> OrphanTracker:
+    """References and parents as they arrive: first the objects' references with the parents registered up to the middle of all times, none of them deleted yet; then
+    the files' references with the later parents, which resolve orphans; then the deletions, which reopen some."""
+    samples = read(spark, sf_dir, "samples")
+    parents = settle(parent_rows(samples, "sample_id", "registered_at", "deleted_at"), "samples")
+    span = parents.agg(F.min("since"), F.max("since")).first()
+    middle = F.lit(span[0] + (span[1] - span[0]) / 2 if span[0] else None).cast("timestamp_ntz")
+    born = parents.withColumn("until", F.lit(None).cast("timestamp_ntz"))
     tracker = OrphanTracker(spark)
-    tracker.advance(
-        reference_rows(read(spark, sf_dir, "zoo_features"), "zoo_features", "sample_id", "acquired_at"),
-        parent_rows(read(spark, sf_dir, "samples"), "sample_id", "registered_at", "deleted_at"),
-    )
-    tracker.advance(reference_rows(read(spark, sf_dir, "image_files"), "image_files", "sample_id", "written_at"))
-    return tracker.report().withColumnRenamed("key", "sample_id").select("tab", "yyyymm", "sample_id")
+    tracker.advance(reference_rows(read(spark, sf_dir, "zoo_features"), "zoo_features", "sample_id", "acquired_at"), born.filter(F.col("since") <= middle))
+    tracker.advance(reference_rows(read(spark, sf_dir, "image_files"), "image_files", "sample_id", "written_at"), born.filter(F.col("since") > middle))
+    return tracker.advance(deletions=parents.filter("until IS NOT NULL"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table and month after parents, references and deletions have arrived in three steps."""
+    return _tracked(spark, sf_dir).report().withColumnRenamed("key", "sample_id").select("tab", "yyyymm", "sample_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table, "p7_found": p7_found}
+def p7_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of orphan references and keys per table and month after each of the three steps."""
+    return _tracked(spark, sf_dir).snapshots().select("step", "tab", "yyyymm", "n", "n_keys")
+
+
+QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table, "p7_found": p7_found, "p7_snapshots": p7_snapshots}
 
 SQL = {
     "p4_found": """
@@ -73,6 +86,16 @@ SQL = {
         SELECT DISTINCT tab, CAST(strftime(t, '%Y%m') AS INTEGER) AS yyyymm, sample_id FROM r
         WHERE sample_id IS NOT NULL AND t IS NOT NULL AND NOT EXISTS (
             SELECT 1 FROM s WHERE s.k = r.sample_id AND s.registered_at <= r.t + INTERVAL 7 DAY AND (s.deleted_at IS NULL OR s.deleted_at > r.t))""",
+    "p7_snapshots": """
+        WITH k AS (SELECT lower(trim(sample_id, ' ' || chr(9) || chr(10) || chr(13))) AS k, registered_at - INTERVAL 7 DAY AS since, deleted_at FROM samples WHERE sample_id IS NOT NULL AND registered_at IS NOT NULL),
+        mid AS (SELECT min(since) + (max(since) - min(since)) / 2 AS m FROM k),
+        r AS (
+            SELECT 'zoo_features' AS tab, lower(trim(sample_id, ' ' || chr(9) || chr(10) || chr(13))) AS sample_id, acquired_at AS t, 1 AS arrives FROM zoo_features
+            UNION ALL SELECT 'image_files', lower(trim(sample_id, ' ' || chr(9) || chr(10) || chr(13))), written_at, 2 FROM image_files),
+        s AS (SELECT unnest([1, 2, 3]) AS step),
+        o AS (SELECT s.step, r.* FROM r, s, mid WHERE r.arrives <= s.step AND sample_id IS NOT NULL AND t IS NOT NULL AND NOT EXISTS (
+            SELECT 1 FROM k WHERE k.k = r.sample_id AND k.since <= r.t AND (s.step >= 2 OR k.since <= mid.m) AND (s.step < 3 OR k.deleted_at IS NULL OR k.deleted_at > r.t)))
+        SELECT CAST(step AS INTEGER) AS step, tab, CAST(strftime(t, '%Y%m') AS INTEGER) AS yyyymm, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT sample_id) AS BIGINT) AS n_keys FROM o GROUP BY 1, 2, 3""",
     "p2_found": """
         WITH n AS (SELECT lst_name, max(CAST(regexp_extract(line_text, '^num-fields\\|(\\d+)$', 1) AS INTEGER)) AS n FROM lst_lines WHERE line_no = 2 GROUP BY 1),
         h AS (
