@@ -167,8 +167,9 @@ def split_records(lines: DataFrame, *, file: str = "lst_name", number: str = "li
     """Parse the records of ``|``-separated files with a header of their own.
 
     Returns one row per record line: file, number, ``reason`` (null if it parses), ``offset`` (byte of the line
-    at which the reason lies), the checked fields as typed columns and, with ``typed``, ``fields``: a map of
-    header name to text. The operator parses each line by itself; header lines (the first n_fields + 2) and
+    at which the reason lies), the checked fields as typed columns and, with ``typed``, ``fields``: a map of the
+    file's own ``name|type`` to text, in the header's order (a header line that can't be read gives ``field_<place>|string``, a name that stands
+    twice its place behind it). The operator parses each line by itself; header lines (the first n_fields + 2) and
     empty lines are no records. ``int_fields`` gives the least value allowed, None for any.
 
     Defined cases: a null text is an empty line; a file without header fails every line after the second with ``no_header``;
@@ -179,10 +180,14 @@ def split_records(lines: DataFrame, *, file: str = "lst_name", number: str = "li
     checked = [text_field, *int_fields]
     header = lst_headers(lines, file, number, text)
     place = [F.coalesce(F.expr(f"element_at(filter(header, h -> h.name = '{c}'), 1).n - 3"), F.lit(-1)).cast("int").alias(f"__at_{i}") for i, c in enumerate(checked)]
-    names = [F.transform("header", lambda h: h["name"]).alias("__names")] if typed else []
+    # a header line that can't be read leaves a gap, which is named by its place
+    by_place = F.map_from_entries(F.transform("header", lambda h: F.struct(h["n"], F.concat(h["name"], F.lit("|"), h["type"]))))
+    gap = F.transform(F.sequence(F.lit(3), F.col("n_fields") + 2), lambda n: F.coalesce(F.try_element_at(by_place, n), F.concat(F.lit("field_"), (n - 2).cast("string"), F.lit("|string"))))
+    names = [F.when(F.col("n_fields") > 0, gap).otherwise(F.array().cast("array<string>")).alias("__names")] if typed else []
     header = settle(header.select(F.col(file), "n_fields", *place, *names), "headers")
     src = lines.select(file, number, text).filter(F.length(text) > 0)
-    src = join_sized(src, header, file, "left").filter(F.col("n_fields").isNull() & (F.col(number) > 2) | (F.col(number) > F.col("n_fields") + 2))
+    src = join_sized(src, header, file, "left", factor=64.0)  # name lists are far larger than their dictionaries
+    src = src.filter(F.col("n_fields").isNull() & (F.col(number) > 2) | (F.col(number) > F.col("n_fields") + 2))
     schema = T.StructType([lines.schema[file], lines.schema[number], T.StructField("reason", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField(text_field, T.StringType()), *(T.StructField(c, T.IntegerType()) for c in int_fields)])
     if typed:
         schema = schema.add("fields", T.MapType(T.StringType(), T.StringType()))
@@ -236,19 +241,48 @@ def split_records(lines: DataFrame, *, file: str = "lst_name", number: str = "li
             keys, items = names.take(fine), fields.take(fine)
             ends = np.zeros(n + 1, np.int64)
             ends[1:][good] = pc.list_value_length(items).to_numpy(zero_copy_only=False) if len(fine) else 0
-            columns.append(pa.MapArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), keys.flatten(), items.flatten()))
+            columns.append(pa.MapArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), _unlike(keys), items.flatten()))
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return src.mapInArrow(parse, schema)
 
 
-def typed_records(parsed: DataFrame, header: list[tuple[str, str]]) -> DataFrame:
-    """The valid rows of ``split_records`` as columns of the header's declared types.
+def _unlike(keys: pa.Array) -> pa.Array:
+    """The names of all rows one behind the other; a name that stands twice in a row gets its place behind it."""
+    flat = keys.flatten()
+    rows = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64))
+    names = flat.dictionary_encode()
+    code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pair = rows * max(1, len(names.dictionary)) + code
+    _, first = np.unique(pair, return_index=True)
+    if len(first) == len(pair):
+        return flat
+    again = np.ones(len(pair), bool)
+    again[first] = False
+    place = np.arange(len(pair)) - np.searchsorted(rows, rows)
+    texts = flat.to_pylist()
+    for i in np.flatnonzero(again):
+        name, _, kind = texts[i].partition("|")
+        texts[i] = f"{name}_{place[i] + 1}|{kind}"
+    return pa.array(texts, pa.string())
+
+
+#: Spark types of the declared types. Fixed values; another type is taken as text.
+TYPES = {"int32": "int", "double": "double", "string": "string", "guid": "string", "timestamp": "timestamp_ntz"}
 
-    Types are int32, double, string, guid and timestamp; a value that does not convert becomes null.
-    """
-    kind = {"int32": "int", "double": "double", "string": "string", "guid": "string", "timestamp": "timestamp_ntz"}
-    out = [F.expr(f"try_cast(trim(fields['{n}']) AS {kind[t]})").alias(n) if kind[t] != "string" else F.expr(f"fields['{n}']").alias(n) for n, t in header]
-    keep = [c for c in parsed.columns[:2] if c not in {n for n, _ in header}]
-    return parsed.filter("reason IS NULL").select(*keep, *out)
 
+def typed_records(parsed: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The valid rows of ``split_records`` with ``fields`` (name: declared type) as columns, and ``failed``: the names of those whose text doesn't convert.
+
+    Each file's own header counts: a field is taken where its file declares it with the stated type, and is null where it does not, or where the text is
+    blank or does not convert.
+    """
+    keep = [c for c in parsed.columns[:2] if c not in fields]
+    out, failed = [], []
+    for n, t in fields.items():
+        text = F.try_element_at("fields", F.lit(f"{n}|{t}"))
+        kind = TYPES.get(t, "string")
+        value = text if kind == "string" else F.trim(text).try_cast(kind)
+        out.append(value.alias(n))
+        failed.append(F.when(value.isNull() & (F.length(F.trim(text)) > 0), F.lit(n)))
+    return parsed.filter("reason IS NULL").select(*keep, *out, F.array_compact(F.array(*failed)).alias("failed"))

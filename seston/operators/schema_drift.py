@@ -23,14 +23,16 @@ from seston.runtime import BROADCAST_LIMIT, norm_key, settle, table_bytes
 
 #: A rename needs this share of equal values among the records that both files hold.
 LEAST_EQUAL = 0.8
+#: Under this name, which no field can have, a node holds its own value.
+LEAF = "~leaf"
 #: Cost of deleting or adding a leaf; a rename costs its share of unequal values times RENAME.
 EDIT, RENAME = 1.0, 2.0
 
 
-def leaves(value, path: str = ""):
+def leaves(value, path: str | None = None):
     """(path, type, text) of each scalar of a parsed JSON object; lists and empty objects are leaves of their own."""
     for name, v in value.items():
-        at = f"{path}/{_escape(name)}" if path else _escape(name)
+        at = _escape(name) if path is None else f"{path}/{_escape(name)}"
         if isinstance(v, dict) and v:
             yield from leaves(v, at)
         elif v is None:
@@ -60,18 +62,20 @@ def plain(path: Column) -> Column:
 
 
 def flatten(rows: DataFrame, meta: str, keep: dict[str, str]) -> DataFrame:
-    """``keep`` (name: expression) and ``leaves``: array of (field, type, text), empty for what is no JSON object."""
+    """``keep`` (name: expression), ``leaves``: array of (field, type, text), and ``broken``: whether the text is neither blank nor a JSON object."""
     src = rows.select(*(F.expr(e).alias(n) for n, e in keep.items()), F.col(meta).alias("__meta"))
     kind = pa.list_(pa.struct([("field", pa.string()), ("type", pa.string()), ("text", pa.string())]))
 
     def parse(batches):
         for batch in batches:
-            field, type_, text, ends = [], [], [], [0]
+            field, type_, text, ends, broken = [], [], [], [0], []
             for s in batch.column("__meta").to_pylist():
+                blank = s is None or not s.strip()
                 try:
-                    value = json.loads(s) if s else None
-                except ValueError:
+                    value = None if blank else json.loads(s)
+                except (ValueError, RecursionError):
                     value = None
+                broken.append(not blank and not isinstance(value, dict))
                 if isinstance(value, dict):
                     for f, t, x in leaves(value):
                         field.append(f)
@@ -79,10 +83,10 @@ def flatten(rows: DataFrame, meta: str, keep: dict[str, str]) -> DataFrame:
                         text.append(x)
                 ends.append(len(field))
             inner = pa.StructArray.from_arrays([pa.array(field, pa.string()), pa.array(type_, pa.string()), pa.array(text, pa.string())], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], names=[*keep, "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner), pa.array(broken, pa.bool_())], names=[*keep, "leaves", "broken"])
 
     schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep)
-    return src.mapInArrow(parse, schema + ", leaves array<struct<field:string,type:string,text:string>>")
+    return src.mapInArrow(parse, schema + ", leaves array<struct<field:string,type:string,text:string>>, broken boolean")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -122,7 +126,7 @@ def edit_script(old: dict[str, str], new: dict[str, str], equal: dict[tuple[str,
             node = root
             for part in _split(p)[:-1]:
                 node = node.setdefault(part, {})
-            node[_split(p)[-1]] = p
+            node.setdefault(_split(p)[-1], {})[LEAF] = p  # a node may hold a value of its own beside children
         return root
 
     def size(node):
@@ -180,13 +184,15 @@ class Drift:
         A null, blank or broken ``meta`` has no fields; repeated rows and rows in any order change nothing; extra
         columns are ignored; an empty table gives empty results.
         """
-        flat = flatten(rows.filter(F.col(file).isNotNull() & F.col(source).isNotNull()), meta, {"file": file, "source": source, "at": at, "object": object})
+        placed = F.col(file).isNotNull() & F.col(source).isNotNull()
+        self._lost = rows.filter(~placed)
+        flat = flatten(rows.filter(placed), meta, {"file": file, "source": source, "at": at, "object": object})
         flat = flat.withColumn("object", norm_key("object"))
         self.flat = settle(flat, "flat")
         leaf = self.flat.select("file", "source", F.explode("leaves").alias("l")).select("file", "source", "l.field", "l.type")
         counted = leaf.groupBy("file", "source", "field", "type").agg(F.count("*").alias("n"))
         # most rows decide; on a tie number before boolean before string
-        self.fields = settle(counted.groupBy("file", "source", "field").agg(F.max_by("type", F.struct("n", F.expr("array_position(array('object', 'list', 'string', 'boolean', 'number'), type)"))).alias("type")), "fields")
+        self.fields = settle(counted.groupBy("file", "source", "field").agg(F.max_by("type", F.struct("n", F.expr("array_position(array('object', 'list', 'string', 'boolean', 'number'), type)"))).alias("type"), F.sum("n").alias("n")), "fields")
         files = self.flat.groupBy("source", "file").agg(F.min("at").alias("at"))
         follow = Window.partitionBy("source").orderBy(F.col("at").asc_nulls_first(), "file")  # a row per file
         self.steps = settle(files.select("source", "file", F.row_number().over(follow).alias("turn"), F.lag("file").over(follow).alias("before")), "steps")
@@ -225,7 +231,9 @@ class Drift:
             return pd.DataFrame([(key[0], *s) for s in steps], columns=["file", "kind", "old_field", "new_field"])
 
         kind = self.fields.schema["file"].dataType.simpleString()
-        return work.groupBy("new").applyInPandas(script, f"file {kind}, kind string, old_field string, new_field string")
+        # a stated number of partitions, as adaptive execution would put all files into one task: their rows are few, their scripts are not
+        n = int(self.flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return work.repartition(n, "new").groupBy("new").applyInPandas(script, f"file {kind}, kind string, old_field string, new_field string")
 
     def names(self) -> DataFrame:
         """(file, field, lasting): the name that each field of each file has in the source's last file that holds it.
@@ -264,7 +272,25 @@ class Drift:
         entry = F.expr("map_from_entries(transform(leaves, l -> struct(coalesce(element_at(lasting, l.field), l.field) AS k, struct(l.type, l.text) AS v)))")
         return named.select("file", "source", "at", "object", entry.alias("meta"))
 
-    def columns(self, fields: dict[str, str]) -> DataFrame:
-        """The table with the given lasting names as columns of number (double), boolean or string; strays become null."""
-        sql = {"number": "double", "boolean": "boolean", "string": "string"}
-        return self.table().select("file", "source", "at", "object", *(F.expr(f"try_cast(meta['{f}'].text AS {sql[t]})").alias(f) for f, t in fields.items()))
+    def skipped(self) -> DataFrame:
+        """(reason, n): rows without file or source, and rows whose meta is neither blank nor a JSON object."""
+        lost = self._lost.agg(F.count("*").alias("n")).select(F.lit("no file or source").alias("reason"), "n")
+        return lost.unionByName(self.flat.agg(F.count_if("broken").alias("n")).select(F.lit("broken").alias("reason"), "n"))
+
+    def lasting(self) -> dict[str, str]:
+        """The fields of the one table by their lasting names, with the type of most values, in order. As many rows as there are names come to the driver."""
+        counted = self.names().join(self.fields, ["file", "field"]).groupBy("lasting", "type").agg(F.sum("n").alias("n"))
+        rank = F.struct("n", F.expr("array_position(array('object', 'list', 'string', 'boolean', 'number'), type)"))
+        return {r["lasting"]: r["type"] for r in counted.groupBy("lasting").agg(F.max_by("type", rank).alias("type")).orderBy("lasting").collect()}
+
+    def columns(self, fields: dict[str, str] | None = None) -> DataFrame:
+        """One row for each row read: file, source, at, object, and the fields (by default all) as columns of number (double), boolean or string.
+
+        A value of another type is null, or in a column of strings its text; rows without fields are there with nulls. The columns are those of all sources
+        together.
+        """
+        sql = {"number": "double", "boolean": "boolean"}
+        fields = self.lasting() if fields is None else fields
+        value = [F.try_element_at("meta", F.lit(f)) for f in fields]
+        made = [(F.when(v["type"] == t, v["text"].try_cast(sql[t])) if t in sql else v["text"]).alias(f.replace("~1", "/").replace("~0", "~")) for (f, t), v in zip(fields.items(), value)]
+        return self.table().select("file", "source", "at", "object", *made)

@@ -3,10 +3,10 @@
 The plan: every file's content is hashed once into a narrow table; of files with the same key and content the one
 with the smallest id is kept. Kept files are assigned to output groups longest first, each to the group that
 has least so far (a heap). What goes through the heap on the driver is bounded: files of at least
-``1 / SPLIT`` of the target size go by themselves (at most SPLIT per group), smaller ones as hash bundles,
-of which there are SPLIT per group. Each group is streamed by one task through pyarrow into a hidden file and
-renamed in place, so a repeated task changes nothing; the manifest is published by a rename too, after the written
-files have been read again and their row counts and checksums agree with the plan.
+``1 / SPLIT`` of the target size go by themselves (at most SPLIT per group), smaller ones in bundles of one size class and
+about that size. Each group is streamed by one task through pyarrow into a hidden file and renamed in place, under a
+name of this run; the manifest, which alone says what is published, is replaced by a rename after the written files have been read again and
+their row counts and checksums agree with the plan. A run that fails leaves what was published before.
 """
 
 from __future__ import annotations
@@ -53,6 +53,15 @@ class Compaction:
         return self.kept.sparkSession.read.parquet(*(f"file://{self.path}/{f['name']}" for f in self.manifest["files"]))
 
 
+def published(out: str) -> list[str]:
+    """The names of the parts that the manifest lists, none without one."""
+    try:
+        with open(f"{out}/manifest.json") as f:
+            return [x["name"] for x in json.load(f)["files"]]
+    except FileNotFoundError:
+        return []
+
+
 def survey(files: DataFrame, id_col: str, key: str, data: str) -> DataFrame:
     """id, normalised key, content hash and length of each file, written as a table."""
     k = norm_key(key)
@@ -77,6 +86,7 @@ def compact(files: DataFrame, out_dir: str | None = None, *, id_col: str = "file
     spark = files.sparkSession
     out = local_path(out_dir or scratch(spark, "compact"))
     os.makedirs(out, exist_ok=True)
+    run = uuid.uuid4().hex[:12]  # parts of one run; the manifest alone says which run's parts hold
     seen = survey(files, id_col, key, data)
     whole = seen.filter("n > 0")
     unique = F.coalesce(F.concat(F.lit("k"), "k"), F.concat(F.lit("i"), F.col("id").cast("string")))
@@ -85,10 +95,14 @@ def compact(files: DataFrame, out_dir: str | None = None, *, id_col: str = "file
     dropped = settle(seen.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias(id_col)), "dropped")
     total = kept.agg(F.sum("n"), F.count("*")).first()
     groups = max(1, -(-(total[0] or 0) // target_bytes))
-    large = F.col("n") >= target_bytes // SPLIT
-    bundle = F.when(large, -1 - F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(groups * SPLIT)))
-    sized = kept.withColumn("bundle", bundle)
-    sizes = [(r[0], r[1]) for r in sized.groupBy("bundle").agg(F.sum("n")).collect()]  # at most 2 * SPLIT * groups rows
+    # files of a size class (a power of two) are bundled so that a bundle has about 1 / SPLIT of the target; large files are bundles of one
+    share = max(1, target_bytes // SPLIT)
+    level = F.when(F.col("n") > 0, F.floor(F.log2(F.col("n").cast("double")))).otherwise(0).cast("int")
+    leveled = kept.withColumn("level", level)
+    counts = leveled.groupBy("level").agg(F.greatest(F.ceil(F.sum("n") / share), F.lit(1)).cast("long").alias("bundles"))  # at most 64 rows
+    part = F.struct("level", F.when(F.col("n") >= share, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("bundles"))).alias("part"))
+    sized = leveled.join(F.broadcast(counts), "level").withColumn("bundle", F.xxhash64(part)).drop("level", "bundles")
+    sizes = [(r[0], r[1]) for r in sized.groupBy("bundle").agg(F.sum("n")).collect()]  # about SPLIT * groups rows, and one a size class
     to_group = longest_first(sizes, groups)
     mapping = spark.createDataFrame([(b, g) for b, g in to_group.items()], "bundle long, g int")
     plan = settle(sized.join(F.broadcast(mapping) if len(sizes) * 16 <= BROADCAST_LIMIT else mapping, "bundle").select("id", "n", "sum", "g"), "plan")
@@ -110,7 +124,7 @@ def compact(files: DataFrame, out_dir: str | None = None, *, id_col: str = "file
                 if at != g[start]:
                     if writer is not None:
                         writer.close()
-                        os.replace(made, f"{out}/part-{at:06d}.parquet")
+                        os.replace(made, f"{out}/part-{run}-{at:06d}.parquet")
                         yield pa.RecordBatch.from_pydict({"g": pa.array([at], pa.int32()), "rows": pa.array([count], pa.int64())})
                     at, count = int(g[start]), 0
                     made = f"{out}/.part-{at:06d}-{uuid.uuid4().hex}"
@@ -122,15 +136,15 @@ def compact(files: DataFrame, out_dir: str | None = None, *, id_col: str = "file
                 start = stop
         if writer is not None:
             writer.close()
-            os.replace(made, f"{out}/part-{at:06d}.parquet")
+            os.replace(made, f"{out}/part-{run}-{at:06d}.parquet")
             yield pa.RecordBatch.from_pydict({"g": pa.array([at], pa.int32()), "rows": pa.array([count], pa.int64())})
 
     written = {r["g"]: r["rows"] for r in placed.mapInArrow(write, "g int, rows long").collect()}
-    names = {g: f"part-{g:06d}.parquet" for g in written}
+    names = {g: f"part-{run}-{g:06d}.parquet" for g in written}
     found = {}
     if names:
         again = spark.read.parquet(*(f"file://{out}/{n}" for n in names.values()))
-        again = again.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("g"), F.xxhash64(F.col(id_col), F.sha2(data, 256)).alias("sum"))
+        again = again.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-[0-9a-f]+-(\d+)", 1).cast("int").alias("g"), F.xxhash64(F.col(id_col), F.sha2(data, 256)).alias("sum"))
         found = {r["g"]: (r["rows"], r["sum"]) for r in again.groupBy("g").agg(F.count("*").alias("rows"), F.expr("bit_xor(sum)").alias("sum")).collect()}
     if found != {g: (r["rows"], r["sum"]) for g, r in want.items()}:
         raise RuntimeError("the files written don't hold what was planned; no manifest was published")
@@ -142,7 +156,11 @@ def compact(files: DataFrame, out_dir: str | None = None, *, id_col: str = "file
         json.dump(manifest, f, indent=1)
         f.flush()
         os.fsync(f.fileno())
+    before = published(out)
     os.replace(f.name, f"{out}/manifest.json")
+    for part in before:  # those of the manifest that is no more
+        if part not in {x["name"] for x in manifest["files"]} and os.path.exists(f"{out}/{part}"):
+            os.remove(f"{out}/{part}")
     return Compaction(out, manifest, plan.select(F.col("id").alias(id_col), F.col("g").alias("part")), dropped)
 
 

@@ -36,13 +36,14 @@ def mask_name(collage: Column) -> Column:
 
 def crop_box(fields: Column) -> Column:
     """The place of a record within its collage."""
-    x, y, w, h = (F.try_element_at(fields, F.lit(n)).cast("int") for n in ("image_x", "image_y", "image_w", "image_h"))
+    x, y, w, h = (F.try_element_at(fields, F.lit(f"{n}|int32")).cast("int") for n in ("image_x", "image_y", "image_w", "image_h"))
     return F.struct(y.alias("r0"), x.alias("c0"), (y + h).alias("r1"), (x + w).alias("c1"))
 
 
 def field(fields: Column, name: str) -> Column:
-    """A field of a record by name; one that the header doesn't have is an error."""
-    return F.when(F.map_contains_key(fields, F.lit(name)), fields[F.lit(name)]).otherwise(F.raise_error(F.lit(f"no field {name}")).cast("string"))
+    """A field of a record by name, as text; one that the header doesn't have is an error."""
+    found = F.map_values(F.map_filter(fields, lambda k, _: F.substring_index(k, "|", 1) == name))
+    return F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.raise_error(F.lit(f"no field {name}")).cast("string"))
 
 
 def read_listing_objects(lines: DataFrame, collages: DataFrame) -> DataFrame:
