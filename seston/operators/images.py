@@ -67,17 +67,19 @@ def rescale_intensity(image: Column, in_range: tuple[float, float] | str = "imag
     """
     low, high = RANGES[dtype]
     if in_range == "image":
-        a, b = F.array_min(image["data"]).cast("double"), F.array_max(image["data"]).cast("double")
+        ends = F.struct(F.array_min(image["data"]).cast("double").alias("a"), F.array_max(image["data"]).cast("double").alias("b"))
     else:
-        a, b = map(F.lit, map(float, RANGES[in_range] if isinstance(in_range, str) else in_range))
-    span = b - a
+        a, b = map(float, RANGES[in_range] if isinstance(in_range, str) else in_range)
+        ends = F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
 
-    def scaled(x: Column) -> Column:
-        part = F.when(span == 0, F.lit(0.0)).otherwise((F.least(F.greatest(x.cast("double"), a), b) - a) / F.when(span == 0, F.lit(1.0)).otherwise(span))
-        out = part * (high - low) + low
-        return out.cast(HOLDS[dtype])
+    def scaled(x: Column, r: Column) -> Column:
+        span = r["b"] - r["a"]
+        part = F.when(span == 0, F.lit(0.0)).otherwise((F.least(F.greatest(x.cast("double"), r["a"]), r["b"]) - r["a"]) / F.when(span == 0, F.lit(1.0)).otherwise(span))
+        return (part * (high - low) + low).cast(HOLDS[dtype])
 
-    return _with(image, F.transform(image["data"], scaled))
+    # the range is bound once, as an element of a list of one, not found anew for each pixel
+    data = F.get(F.transform(F.array(ends), lambda r: F.transform(image["data"], lambda x: scaled(x, r))), F.lit(0))
+    return _with(image, data)
 
 
 def gray_to_rgb(image: Column) -> Column:
@@ -158,7 +160,7 @@ def _pack(images: list[np.ndarray | None], element: pa.DataType) -> pa.Array:
     fields = [pa.array([s[k] for s in shape], pa.int32()) for k in range(3)]
     data = pa.ListArray.from_arrays(pa.array(ends), values)
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.list_(element))])
-    return pa.StructArray.from_arrays([*fields, data], fields=list(kind), mask=pa.array([not t for t in there]))
+    return pa.StructArray.from_arrays([*fields, data], fields=list(kind), mask=pa.array([not t for t in there], pa.bool_()))
 
 
 def map_images(df: DataFrame, kernel: Callable[..., np.ndarray], inputs: list[str], name: str, element: str = "double") -> DataFrame:

@@ -103,14 +103,17 @@ class Variable:
         return Operation("set", lambda a, k, v: X.setitem(a, key if isinstance(a.kind, T.StructType) else k, v), self, key, value)
 
     def __setitem__(self, key: Any, value: Any) -> None:
-        """From here on the Variable stands for the value with ``key`` set."""
-        self.column = self.setitem(key, value).column
+        """From here on the Variable's column has ``key`` set; what was made of it before stays."""
+        self._replace(lambda df, a: X.setitem(a, key if isinstance(a.kind, T.StructType) else X.typed(df, resolve(df, key)), X.typed(df, resolve(df, value))), key, value)
 
     def delitem(self, key: Any) -> Variable:
         return Operation("del", lambda a, k: X.delitem(a, key if isinstance(a.kind, T.StructType) else k), self, key)
 
     def __delitem__(self, key: Any) -> None:
-        self.column = self.delitem(key).column
+        self._replace(lambda df, a: X.delitem(a, key if isinstance(a.kind, T.StructType) else X.typed(df, resolve(df, key))), key)
+
+    def _replace(self, fn: Callable[[DataFrame, X.Typed], X.Typed], *used: Any) -> None:
+        Step("replace", lambda df: df.withColumn(_there(df, self), fn(df, X.typed(df, resolve(df, self))).col), inputs=[self, *used])
 
 
 def resolve(df: DataFrame, x: Any) -> Any:

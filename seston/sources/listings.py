@@ -31,7 +31,7 @@ def read_listing_lines(spark: SparkSession, path: str, *, check_version: bool =
 
 def mask_name(collage: Column) -> Column:
     """``<base>_bin<ending>`` of a collage's name."""
-    return F.regexp_replace(collage, r"(\.[^./]*)?$", f"{MASK_SUFFIX}$1")
+    return F.regexp_replace(collage, r"^(.*?)(\.[^./]*)?$", f"$1{MASK_SUFFIX}$2")
 
 
 def crop_box(fields: Column) -> Column:
