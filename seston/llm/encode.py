@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +146,6 @@ def encode_texts(rows: DataFrame, id_col: str = "doc_id", text: str = "text", *,
 
 def decode_ids(rows: DataFrame, ids: str = "ids", name: str = "text", *, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The text of each row's ids; of null null."""
-    import pandas as pd
-
     def decode(column: pd.Series) -> pd.Series:
         words = load(f"{(folder or default_folder()).rstrip('/')}/{vocabulary}.tiktoken")
         return pd.Series([None if v is None else words.decode(list(v)) for v in column], dtype=object)

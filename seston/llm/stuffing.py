@@ -98,7 +98,7 @@ def certain(v: np.ndarray) -> np.ndarray:
     out[(ends == 1) & (stop >= 1) & (link < 2) & (tag < 2) & (shop == 0)] = PROSE
     out[(stop == 0) & (small == 2) & (ends == 0) & (link == 0) & (tag == 0)] = MENU
     out[(again == 2) & (stop <= 1) & (small >= 1) & (ends == 0) & (link == 0) & (tag == 0)] = MENU
-    out[(shop == 1) & (ends == 0) & (stop <= 1)] = MENU
+    out[(shop == 1) & (ends == 0) & (stop <= 2)] = MENU
     out[tag == 3] = TAGS
     out[link == 3] = LINKS
     out[(note == 1) & (tag == 0) & (link < 3)] = NOTE
