@@ -3,7 +3,7 @@
 Objects are counted on a fine grid; its cells, with counts and mean places, are the reduced vectors. Space is cut into blocks, and a cell
 also comes into every block that it is within a margin of. Block by block the mass around each cell is counted, cells with enough of it (cores) are
 linked to those near them, and other cells join the nearest core. Cores in several blocks' margins tell which local clusters are one: the
-clusters' graph is merged by label propagation on the executors. What a task holds is the cells of a block, whose number depends on the space and
+clusters' graph is merged by label propagation on the executors. What a task holds is the cells of a block or group, whose number depends on the space and
 not on the number of objects; nothing but counts comes to the driver.
 """
 
@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seston.runtime import BROADCAST_LIMIT, join_sized, settle, table_bytes
+from seston.runtime import join_sized, settle
 
 #: Radius of density, least share of all objects within it, least number, width of a cell, reach of a group's border, width of a block.
 EPS, SHARE, LEAST, CELL, REACH, SIDE = 0.12, 0.001, 5, 0.04, 0.1, 1.44
-#: Cells nearest to a group's mean that its medoid is sought among.
-CANDIDATES = 32
+#: Sums of distances that differ by less, as a share of the group's weight times its extent, are equal.
+EQUAL = 1e-12
 #: Pairs of a block that are all compared, and links of a block that are kept in memory; beyond that a grid is used, and links are found anew each round.
 FEW, KEPT = 20_000_000, 20_000_000
 
@@ -104,6 +104,27 @@ def nearest_label(points: np.ndarray, cores: np.ndarray, label: np.ndarray, reac
     return out
 
 
+def medoid(points: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
+    """(the least index of those with the least sum of weighted distances to all points, how many sums were counted to tell).
+
+    The sum is a convex function of the place, so the plane that touches it at one point lies below it everywhere, and a point at distance d has at
+    least the whole weight times d less that point's sum. Sums are counted, the least bound first, until every other bound is above the least sum.
+    """
+    whole = weight.sum()
+    slack = EQUAL * whole * np.sqrt(((points.max(0) - points.min(0)) ** 2).sum())
+    bound, total = np.zeros(len(points)), np.full(len(points), np.inf)
+    i = int(((points - weight @ points / whole) ** 2).sum(1).argmin())
+    while bound[i] <= total.min() + slack:
+        off = points - points[i]
+        d = np.sqrt((off**2).sum(1))
+        total[i] = d @ weight
+        slope = np.divide(weight, d, out=np.zeros(len(d)), where=d > 0) @ off  # the sum falls by it towards the other points
+        bound = np.maximum(bound, np.maximum(total[i] - off @ slope, whole * d - total[i]))
+        bound[i] = np.inf
+        i = int(bound.argmin())
+    return int(np.flatnonzero(total <= total.min() + slack)[0]), int(np.isfinite(total).sum())
+
+
 def in_blocks(rows: DataFrame, xs: list[str], margin: float, side: float = SIDE) -> DataFrame:
     """``rows`` with ``block``, once for each block that they are within ``margin`` of, and ``home``, whether they lie in it."""
     out = rows.withColumn("home", F.lit(True)).withColumn("block", F.lit(17).cast("long"))
@@ -203,22 +224,24 @@ def object_groups(objects: DataFrame, exemplars: DataFrame, axes: list[Column],
 def describe_groups(found: DataFrame, n_axes: int, *, id_col: str = "roi_id", exemplar_id: str = "exemplar_id", typical: int = 5) -> DataFrame:
     """grp, exemplar_id, n_objects, ``medoid`` and ``typical`` of each group of ``object_groups``.
 
-    The medoid is the smallest id in the cell with the least sum of distances to all objects of the group, sought among the CANDIDATES cells nearest to
-    its mean; ``typical`` are the ids of the ``typical`` objects nearest to the medoid's cell, nearest first.
+    The medoid is the smallest id in the cell with the least sum of distances to all objects of the group, whichever cell that is (of equal sums the
+    smallest id); ``typical`` are the ids of the ``typical`` objects nearest to the medoid's cell, nearest first. A task holds the cells of a group,
+    whose number depends on the space that it takes and not on the number of objects.
     """
     xs = [f"x{i}" for i in range(n_axes)]
-    cells = settle(found.groupBy("grp", exemplar_id, "cell").agg(F.count("*").alias("n"), F.min(id_col).alias("id"), *(F.avg(x).alias(x) for x in xs)), "group-cells")
-    mean = cells.groupBy("grp").agg(F.sum("n").alias("n_objects"), *((F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(f"m{x}") for x in xs))
-    off = sum(((F.col(x) - F.col(f"m{x}")) ** 2 for x in xs), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy("off", "id"))
-    near = cells.join(mean, "grp").withColumn("off", off).withColumn("r", rank).filter(F.col("r") <= CANDIDATES)
-    candidates = settle(near.select("grp", "n_objects", F.col("id").alias("cid"), *(F.col(x).alias(f"c{x}") for x in xs)), "candidates")
-    side = F.broadcast(candidates) if table_bytes(candidates) * 4 <= BROADCAST_LIMIT else candidates
+    cells = settle(found.groupBy("grp", exemplar_id, "cell").agg(F.count("*").alias("n"), F.min(id_col).alias("cid"), *(F.avg(x).alias(x) for x in xs)), "group-cells")
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cid", "cell"], ignore_index=True)
+        at, _ = medoid(pdf[xs].to_numpy(float), pdf.n.to_numpy(float))
+        return pdf.loc[[at], ["grp", "cid", *xs]].set_axis(["grp", "cid", *(f"c{x}" for x in xs)], axis=1)
+
+    kind = found.schema[id_col].dataType.simpleString()
+    found_at = cells.drop(exemplar_id).groupBy("grp").applyInPandas(middle, f"grp long, cid {kind}, " + ", ".join(f"c{x} double" for x in xs))
+    sizes = cells.groupBy("grp", exemplar_id).agg(F.sum("n").alias("n_objects"))
+    medoids = settle(sizes.join(found_at, "grp"), "medoids")
     away = F.sqrt(sum(((F.col(x) - F.col(f"c{x}")) ** 2 for x in xs), F.lit(0.0)))
-    sums = cells.join(side, "grp").groupBy("grp", exemplar_id, "n_objects", "cid", *(f"c{x}" for x in xs)).agg(F.sum(away * F.col("n")).alias("total"))
-    medoid = sums.groupBy("grp", exemplar_id).agg(F.min_by(F.struct("n_objects", "cid", *(f"c{x}" for x in xs)), F.struct("total", "cid")).alias("m")).select("grp", exemplar_id, "m.*")
-    medoid = settle(medoid, "medoids")
-    dist = join_sized(found.drop(exemplar_id), medoid.select("grp", *(f"c{x}" for x in xs)), "grp").select("grp", id_col, away.alias("d"))
+    dist = join_sized(found.drop(exemplar_id), medoids.select("grp", *(f"c{x}" for x in xs)), "grp").select("grp", id_col, away.alias("d"))
     best = dist.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("d", id_col))).filter(F.col("r") <= typical)
     listed = best.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", id_col))), lambda t: t[id_col]).alias("typical"))
-    return medoid.join(listed, "grp").select("grp", exemplar_id, "n_objects", F.col("cid").alias("medoid"), "typical")
+    return medoids.join(listed, "grp").select("grp", exemplar_id, "n_objects", F.col("cid").alias("medoid"), "typical")

@@ -16,7 +16,7 @@ from seston.llm import leaks as L
 from seston.llm import stuffing as S
 from seston.llm.encode import Vocabulary, decode_ids, default_folder, encode_texts
 from seston.llm.forest import Search
-from seston.llm.groups import describe_groups, linked, mass_within, merged, nearest_label, object_groups
+from seston.llm.groups import describe_groups, linked, mass_within, medoid, merged, nearest_label, object_groups
 from seston.llm.neighbours import exact_neighbours, neighbour_pairs, neighbours, recall
 from seston.llm.objects import current_objects
 from seston.llm.varied import inverse_density_sample, linkage_groups, varied_sample
@@ -180,6 +180,38 @@ def test_groups_and_noise(spark):
     assert object_groups(objects.limit(0), ex, axes).count() == 0
 
 
+def test_medoid_far_from_the_mean(spark):
+    # 300 objects at one end of a chain of 100 cells with two objects each: the mean lies 20 cells away from where the most are
+    x = [0.02] * 300 + [0.02 + 0.04 * k for k in range(1, 101) for _ in range(2)]
+    objects = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "roi_id long, a double")
+    ex = spark.createDataFrame([(7, 0.02)], "exemplar_id int, a double")
+    told = describe_groups(object_groups(objects, ex, [F.col("a")]), 1).collect()
+    assert [(r.exemplar_id, r.n_objects, r.medoid, r.typical) for r in told] == [(7, 500, 0, [0, 1, 2, 3, 4])]
+    told = describe_groups(object_groups(objects, ex.limit(0), [F.col("a")]), 1).collect()
+    assert [(r.exemplar_id, r.medoid) for r in told] == [(None, 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_medoid_against_all_sums(seed):
+    rng = np.random.default_rng(seed)
+    n, axes = int(rng.integers(1, 300)), int(rng.integers(1, 5))
+    shape = rng.integers(0, 4)
+    p = rng.normal(0, 0.1, (n, axes)) if shape < 2 else rng.integers(0, 4, (n, axes)).astype(float)
+    if shape == 1:  # a ring: nothing lies near the mean
+        p /= np.sqrt((p**2).sum(1, keepdims=True))
+    w = rng.integers(1, 10 ** int(rng.integers(1, 7)), n).astype(float)
+    sums = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) @ w
+    at, counted = medoid(p, w)
+    assert sums[at] <= sums.min() * (1 + 1e-9) + 1e-12 and 1 <= counted <= n
+    assert at == np.flatnonzero(sums <= sums.min() * (1 + 1e-9))[0] or shape < 3  # of equal sums the first
+
+
+def test_medoid_counts_few_sums():
+    p = np.random.default_rng(0).normal(0, 0.1, (20000, 4))
+    assert medoid(p, np.ones(20000))[1] < 2000
+
+
 # ---- 9
 
 W = [f"w{chr(97 + i)}" for i in range(26)]
