@@ -19,7 +19,7 @@ from seston.llm.forest import Search
 from seston.llm.groups import describe_groups, linked, mass_within, medoid, merged, nearest_label, object_groups
 from seston.llm.neighbours import exact_neighbours, neighbour_pairs, neighbours, recall
 from seston.llm.objects import current_objects
-from seston.llm.varied import inverse_density_sample, linkage_groups, varied_sample
+from seston.llm.varied import draw, drawn_groups, inverse_density_sample, linkage_groups, varied_sample
 
 
 def test_registered():
@@ -139,6 +139,35 @@ def test_linkage():
         assert len(set(group)) == n and set(np.bincount(group)) == want
 
 
+def same_parts(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_draw_decides_what_is_linked():
+    # a group of 3000 places, each in a bucket with all the others, and three places by themselves
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.uniform(0, 0.5, (3000, 2)), [[3.0, 0.0], [0.0, 3.0], [3.0, 3.0]]])
+    ids, chance = np.arange(3003), rng.random(3003)
+    whole = linkage_groups(points, 4)
+    density = np.r_[np.full(3000, 3000.0), np.ones(3)]
+    group, linked_over = drawn_groups(points, draw(ids, 1 / density, chance), 4)
+    assert linked_over == 32 and same_parts(group, whole)
+    # drawn without regard to density the first draw misses them: it is found out, and the groups are the same
+    group, linked_over = drawn_groups(points, draw(ids, np.ones(3003), chance), 4)
+    assert linked_over > 32 and same_parts(group, whole)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_drawn_groups_are_those_of_all(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 8))
+    centres = rng.uniform(0, 4, (int(rng.integers(1, 9)), 2))
+    points = np.concatenate([c + rng.normal(0, rng.choice([0.01, 0.1, 0.4]), (int(rng.integers(1, 60)), 2)) for c in centres])
+    group, linked_over = drawn_groups(points, rng.permutation(len(points)), n, first=int(rng.integers(1, 9)))
+    assert same_parts(group, linkage_groups(points, n)) and linked_over <= len(points)
+
+
 # ---- 6
 
 
